@@ -31,6 +31,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONGEST_KEPT = 64
 #: A worker forgets its resolved pre-tokens beyond this number of distinct ones.
 MOST_KEPT = 400_000
+WRAP = 0xFFFFFFFFFFFFFFFF
 TOKENIZERS = os.environ.get("GLYPHMILL_TOKENIZERS", "/opt/tokenizers")
 
 
@@ -66,15 +67,10 @@ class PerfectHash:
             own = members[bucket]
             if len(own) < 2:
                 break
-            d = 0
-            while True:
-                slots = {(a + d * b) % n for a, b, _ in own}
-                if len(slots) == len(own) and all(free[s] for s in slots):
-                    break
-                d += 1
+            d = self._displacement(own, free)
             self.shift[bucket] = d
             for a, b, i in own:
-                self._put((a + d * b) % n, keys[i], i, free)
+                self._put(((a + d * b) & WRAP) % n, keys[i], i, free)
         rest = iter([s for s in range(n) if free[s]])
         for bucket, own in enumerate(members):
             if len(own) == 1:
@@ -82,6 +78,22 @@ class PerfectHash:
                 self.shift[bucket] = -slot - 1
                 self._put(slot, keys[own[0][2]], own[0][2], free)
 
+    def _displacement(self, own: list[tuple[int, int, int]], free: bytearray) -> int:
+        """The first displacement that sends all keys of a bucket to free slots.
+
+        Sums wrap at 64 bits before they are taken modulo ``n``: modulo ``n`` alone, a step that
+        shares factors with ``n`` comes to few slots, and the search need not end.
+        """
+        a, b = (np.array([x[k] for x in own], dtype=np.uint64)[:, None] for k in (0, 1))
+        open_slot = np.frombuffer(free, dtype=np.uint8)
+        first, many = 0, 64
+        while True:
+            slots = (a + np.arange(first, first + many, dtype=np.uint64) * b) % np.uint64(self.n)
+            for k in np.flatnonzero(open_slot[slots].all(axis=0)):
+                if len(set(slots[:, k].tolist())) == len(own):
+                    return first + int(k)
+            first, many = first + many, min(4096, many * 4)
+
     def _put(self, slot: int, key: bytes, i: int, free: bytearray) -> None:
         free[slot] = 0
         self.slot_key[slot], self.slot_id[slot] = key, i
@@ -95,7 +107,7 @@ class PerfectHash:
         """Id of ``key``, or -1."""
         a, b = self._hashes(key)
         d = self.shift[a % self.buckets]
-        slot = -d - 1 if d < 0 else ((a >> 20) + d * b) % self.n
+        slot = -d - 1 if d < 0 else (((a >> 20) + d * b) & WRAP) % self.n
         return self.slot_id[slot] if self.slot_key[slot] == key else -1
 
 

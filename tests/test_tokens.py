@@ -1,0 +1,17 @@
+import __spark_entry__
+from glyphmill.llm import tokens
+
+PATH = f"{tokens.TOKENIZERS}/byte_bpe_50k.tiktoken"
+LONG = "語り部" * 40
+
+
+def test_p6_is_registered_and_all_documents_come_out(spark, tmp_path):
+    assert "p6_ids" in __spark_entry__.queries()
+    texts = ["Hello world<|endoftext|>", None, "", "سلام دنیا", LONG]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.ids for r in __spark_entry__.queries()["p6_ids"](spark, str(tmp_path)).collect()}
+    vocab = tokens.read_ranks(PATH)
+    assert got[1] == got[2] == [] and sorted(got) == [0, 1, 2, 3, 4]
+    for i, text in enumerate(texts):
+        assert b"".join(vocab[x] for x in got[i]).decode() == (text or "")
