@@ -29,7 +29,7 @@ from glyphmill.session import spread
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens longer than this many characters are merged each time instead of being remembered.
 LONGEST_KEPT = 64
-#: A worker forgets its resolved pre-tokens beyond this number of distinct ones.
+#: A worker remembers no more resolved pre-tokens than this; at the next batch it starts afresh.
 MOST_KEPT = 400_000
 WRAP = 0xFFFFFFFFFFFFFFFF
 TOKENIZERS = os.environ.get("GLYPHMILL_TOKENIZERS", "/opt/tokenizers")
@@ -171,17 +171,31 @@ class Encoder:
 
 
 class Resolved(dict):
-    """Pre-token to its number in a growing table of id lists."""
+    """Pre-token to its number in a growing table of id lists.
+
+    What is too long or too much to remember goes to a table of the batch alone, by the negative
+    numbers -1, -2 and so on.
+    """
 
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
         self.flat: list[int] = []
         self.start = [0]
+        self.forget()
+
+    def forget(self) -> None:
+        self.once_flat: list[int] = []
+        self.once_start = [0]
 
     def __missing__(self, token: str) -> int:
+        ids = self.encoder.resolve(token)
+        if len(token) > LONGEST_KEPT or len(self) >= MOST_KEPT:
+            self.once_flat.extend(ids)
+            self.once_start.append(len(self.once_flat))
+            return 1 - len(self.once_start)
         number = len(self.start) - 1
-        self.flat.extend(self.encoder.resolve(token))
+        self.flat.extend(ids)
         self.start.append(len(self.flat))
         self[token] = number
         return number
@@ -197,7 +211,7 @@ class BatchEncoder:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and values of the id lists of ``texts``."""
-        if len(self.seen) > MOST_KEPT:
+        if len(self.seen) >= MOST_KEPT:
             self._reset()
         find, seen = self.encoder.find, self.seen
         numbers: list[int] = []
@@ -207,9 +221,12 @@ class BatchEncoder:
                 tokens = find(text)
                 numbers += map(seen.__getitem__, tokens)
             ends[k + 1] = len(numbers)
-        flat = np.asarray(seen.flat, dtype=np.int32)
-        start = np.asarray(seen.start, dtype=np.int64)
+        flat = np.asarray(seen.flat + seen.once_flat, dtype=np.int32)
+        kept = len(seen.start) - 1
+        start = np.concatenate((seen.start, np.asarray(seen.once_start[1:], dtype=np.int64) + seen.start[-1]))
         which = np.asarray(numbers, dtype=np.int64)
+        which = np.where(which < 0, kept - 1 - which, which)
+        seen.forget()
         lengths = start[which + 1] - start[which]
         out_end = np.concatenate(([0], np.cumsum(lengths)))
         take = np.repeat(start[which] - out_end[:-1], lengths) + np.arange(out_end[-1])
