@@ -1 +1,22 @@
-"""Named queries over the shared tables and their SQL forms."""
+"""Named queries over the driver's tables and their SQL forms."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from glyphmill.operators.records import broken_records
+from glyphmill.session import table
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return broken_records(table(spark, sf_dir, "worksheet_raw"))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in (p5_found,)}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}

@@ -16,6 +16,7 @@ def local_session(cores: str = "*", shuffle: int = 8, memory: str = "8g") -> Spa
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .getOrCreate()
@@ -29,14 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut in the folder the cluster shares.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests,
-    single machine) a local one is chosen.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a local session
+    (tests, one machine) gets a folder of its own; on a cluster this is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "glyphmill-checkpoint"))
+        if not shared:
+            if not (sc.master or "").startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = os.path.join(tempfile.gettempdir(), "glyphmill-checkpoint")
+        sc.setCheckpointDir(shared)
     return df.checkpoint()
 
 
