@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm.glyphs import same_glyphs
+from glyphmill.llm.names import same_names
 from glyphmill.llm.pairs import broken_pairs
 from glyphmill.llm.terms import match_terms
 from glyphmill.llm.tokens import TOKENIZERS, encode_corpus
@@ -22,6 +23,10 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match_terms(table(spark, sf_dir, "worksheet"), table(spark, sf_dir, "term_bank"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_names(table(spark, sf_dir, "worksheet"), table(spark, sf_dir, "term_bank"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_glyphs(table(spark, sf_dir, "text_region"), table(spark, sf_dir, "cases"))
 
@@ -32,7 +37,7 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p4_found, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_ids)}
 
 
 def oracle_sql() -> dict[str, str]:

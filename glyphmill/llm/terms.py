@@ -91,6 +91,10 @@ class Bank:
             self.known_near |= shortened(word, 1)
         self.find = lru_cache(200_000)(self._find)
 
+    def is_term(self, entry: str) -> bool:
+        """Whether ``entry`` writes a term or holds a longer word of one."""
+        return any(len(w) > 3 and w in self.known for w in words(entry)) or self.find(entry) != ""
+
     def _apart(self, typed: list[str], term: tuple[str, ...]) -> int:
         """Misspelt letters of ``typed`` against ``term``; 3 or more if a word is another word."""
         if len(typed) == len(term):
@@ -145,6 +149,11 @@ class Bank:
         return min((c0 for c0, d in best.items() if d == least), default="")
 
 
+def bank_rows(bank: DataFrame) -> list[tuple[str, str | None]]:
+    """The bank's terms, in order; a reference table of fixed size."""
+    return [(r.c0, r.c1) for r in bank.select("c0", "c1").where("c0 is not null").orderBy("c0").collect()]
+
+
 def entries(propose: Column) -> Column:
     """Trimmed entries that are not blank, in order."""
     parts = F.transform(F.split(propose, "[,،]"), lambda x: F.regexp_replace(x, f"\\A[{TRIM}]++|[{TRIM}]++\\z", ""))
@@ -153,7 +162,7 @@ def entries(propose: Column) -> Column:
 
 def match_terms(worksheet: DataFrame, bank: DataFrame) -> DataFrame:
     """``ws_key``, ``entry_no`` and ``c0`` of every entry of ``propose``; '' for none."""
-    rows = [(r.c0, r.c1) for r in bank.select("c0", "c1").orderBy("c0").collect()]
+    rows = bank_rows(bank)
     said = worksheet.select("ws_key", F.posexplode(entries(F.col("propose"))).alias("at", "entry"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
