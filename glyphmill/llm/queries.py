@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm.glyphs import same_glyphs
+from glyphmill.llm.leaks import leaks
 from glyphmill.llm.names import same_names
 from glyphmill.llm.pairs import broken_pairs
 from glyphmill.llm.terms import match_terms
@@ -36,8 +37,12 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text", vocabulary)
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "cases"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_ids)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_ids, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
