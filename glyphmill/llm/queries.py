@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm.glyphs import same_glyphs
 from glyphmill.llm.leaks import leaks
+from glyphmill.llm.levels import reading_levels
 from glyphmill.llm.names import same_names
 from glyphmill.llm.pairs import broken_pairs
 from glyphmill.llm.terms import match_terms
@@ -41,8 +42,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "cases"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_levels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_ids, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p3_found, p4_found, p6_ids, p7_found, p8_found)}
 
 
 def oracle_sql() -> dict[str, str]:
