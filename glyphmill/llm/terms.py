@@ -1,12 +1,19 @@
 """The bank term that each hand-typed entry means.
 
-An entry is folded to bare words: glyph form, case, marks, remarks in brackets, articles, endings
-and separators are taken off. The words, in either order, are looked up among the bank's folded
-English and Persian terms; what that misses is looked up by the keys of both with up to two
-letters deleted, and the candidates are measured by letters inserted, deleted, replaced or swapped.
-Each word may be misspelt, but none may be another word.
-
-The bank is a reference table of fixed size and is sent to the workers whole.
+An entry is folded to bare words: glyph form, case, marks, remarks in brackets, articles and
+separators are taken off. An automaton over the bank's folded English and Persian terms and their
+aliases (words in the other order, run together, in the plural) finds embedded mentions; the
+longest that do not overlap win. A mention with other words beside it counts if the term has
+several words or the others are remarks, so that a person named like a term is none.
+
+What that misses goes to token-set similarity: the words of the entry and of a term are paired in
+either order, every word may be misspelt by a few letters inserted, deleted, replaced or swapped,
+and none may be another word. Candidates come from keys with up to two letters deleted, which two
+spellings within two letters always share.
+
+The bank is a reference table of fixed size and is sent to the workers whole. Defined results: a
+null or blank entry has no row; an entry that writes no term has ''; ties go to the term first in
+the alphabet; a null term means nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +34,10 @@ from glyphmill.session import spread
 
 REMARK = re.compile(r"[(\[{].*?[)\]}]|\s[-–—]\s+\w+\s*$")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
+#: Words that readers add to a term.
+REMARKS = {"term", "place", "new", "order", "weapon", "title", "approved", "see", "vol", "p", "page"}
+#: Longer entries are not remembered.
+LONGEST_KEPT = 100
 ARTICLES = {"the", "a", "an", "that", "this"}
 FOLD = str.maketrans({"ي": "ی", "ى": "ی", "ك": "ک", "ة": "ه", "أ": "ا", "إ": "ا"})
 TRIM = "\\s\\p{Z}\\x{200B}-\\x{200F}\\x{2060}\\x{FEFF}"
@@ -72,24 +84,69 @@ def allowed(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 6 else 2
 
 
+def forms(split: list[str]) -> set[str]:
+    """A term's words and aliases, as runs of words between spaces."""
+    last = split[-1]
+    plurals = [last + "s", last + "es"] + ([last[:-1] + "ies"] if last.endswith("y") else []) if last.isascii() else []
+    made = set()
+    for order in (split, split[::-1]):
+        made |= {" ".join(order), "".join(order)}
+    for x in plurals:
+        made |= {" ".join([*split[:-1], x]), "".join([*split[:-1], x]), " ".join([x, *split[:-1]])}
+    return {f" {x} " for x in made}
+
+
 class Bank:
     def __init__(self, rows: list[tuple[str, str | None]]):
-        self.exact: dict[str, str] = {}
         self.near: dict[str, set[tuple[str, tuple[str, ...]]]] = {}
         self.known: set[str] = set()
         self.known_near: set[str] = set()
-        for c0, c1 in rows:
+        self.longest = 0
+        names: dict[str, tuple[str, int]] = {}
+        for c0, c1 in sorted(rows, key=lambda r: r[0]):
             for text in (c0, c1):
                 if not (split := words(text or "")):
                     continue
                 self.known.update(split)
+                for form in forms(split):
+                    names.setdefault(form, (c0, len(split)))
                 for order in {tuple(split), tuple(reversed(split))}:
-                    self.exact.setdefault("".join(order), c0)
+                    self.longest = max(self.longest, len("".join(order)))
                     for key in shortened("".join(order)):
                         self.near.setdefault(key, set()).add((c0, order))
+        self.automaton = ahocorasick.Automaton()
+        for form, (c0, size) in names.items():
+            self.automaton.add_word(form, (len(form), c0, size))
+        if names:
+            self.automaton.make_automaton()
         for word in self.known:
             self.known_near |= shortened(word, 1)
-        self.find = lru_cache(200_000)(self._find)
+        self._kept = lru_cache(200_000)(self._find)
+
+    def find(self, entry: str) -> str:
+        return self._kept(entry) if len(entry) <= LONGEST_KEPT else self._find(entry)
+
+    def mentions(self, split: list[str]) -> list[tuple[int, int, str, int]]:
+        """Start, end, term and number of words of the longest mentions that do not overlap, longest first."""
+        if not len(self.automaton):
+            return []
+        found = [(end + 1 - size, end + 1, c0, many) for end, (size, c0, many) in self.automaton.iter(f" {' '.join(split)} ")]
+        chosen: list[tuple[int, int, str, int]] = []
+        for m in sorted(found, key=lambda m: (m[0] - m[1], m[0])):
+            # neighbours may share the space between them
+            if all(m[1] <= a + 1 or m[0] >= b - 1 for a, b, _, _ in chosen):
+                chosen.append(m)
+        return chosen
+
+    def _mentioned(self, split: list[str]) -> str | None:
+        """The term of the longest mention; '' if only a person is named like one; None without any."""
+        chosen = self.mentions(split)
+        if not chosen:
+            return None
+        start, end, c0, many = chosen[0]
+        text = f" {' '.join(split)} "
+        others = [w for w in (text[:start] + " " + text[end:]).split() if w not in REMARKS and w not in ARTICLES and not w.isdigit()]
+        return c0 if many > 1 or not others else ""
 
     def is_term(self, entry: str) -> bool:
         """Whether ``entry`` writes a term or holds a longer word of one."""
@@ -130,17 +187,22 @@ class Bank:
         split = words(entry)
         if not split:
             return ""
+        if (c0 := self._mentioned(split)) is not None:
+            return c0
+        return self._similar(split)
+
+    def _similar(self, split: list[str]) -> str:
+        """The term whose set of words is nearest to ``split``, all misspelt words counted."""
         key = "".join(split)
-        forms = [split]
+        if len(key) > self.longest + 4:
+            return ""  # more letters than any misspelling adds
+        typed = [split]
         if key.isascii() and key.endswith("s"):  # a plural
-            forms.append([*split[:-1], split[-1][:-1]])
+            typed.append([*split[:-1], split[-1][:-1]])
             if key.endswith("ies"):
-                forms.append([*split[:-1], split[-1][:-3] + "y"])
-        for form in forms:
-            if (c0 := self.exact.get("".join(form))) is not None:
-                return c0
+                typed.append([*split[:-1], split[-1][:-3] + "y"])
         best: dict[str, int] = {}
-        for form in forms:
+        for form in typed:
             for c0, term in {x for short in shortened("".join(form)) for x in self.near.get(short, ())}:
                 d = self._apart(form, term)
                 if d <= 2:

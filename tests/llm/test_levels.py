@@ -55,7 +55,7 @@ def test_sentences_are_counted_by_hand():
 def test_vote_and_plain():
     level, size = vote(np.array([0, 0, 0, 1]), np.array([2, 3, 2, 4]), np.array([5, 50, 5, 7]), 3)
     assert level.tolist() == [2, 4, 1] and size.tolist() == [60, 7, 0]
-    assert plain("- See it (p. 4, cf. 2) now").split() == ["see", "it", "now"] and plain("A: x\nB: y\nC: z") == ""
+    assert plain("- See it (p. 4, cf. 2) now").split() == ["see", "it", "now"] and plain("Ana: x\nBen: y\nAna: z") == ""
 
 
 def test_ordinal_keeps_the_order():
