@@ -17,6 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphmill.session import checkpointed
+
+#: Salts of the joins of spellings to their records.
+SALTS = 8
 BREAK = "\u200c"
 KEPT = "\ue000"
 RIGHT = "\u0622-\u0625\u0627\u0629\u062f-\u0632\u0648\u0671-\u0673\u0675-\u0677\u0688-\u0699\u06c0\u06c3-\u06cb\u06cd\u06cf\u06d2\u06d3\u06d5\u06ee\u06ef"
@@ -113,16 +117,23 @@ def with_form(df: DataFrame, text: str, form: str = "form") -> DataFrame:
 def same_glyphs(regions: DataFrame, cases: DataFrame) -> DataFrame:
     """``field``, ``key_a``, ``key_b`` of records that look the same and are stored differently.
 
-    Only forms with several spellings are joined, by the hash of field and form.
+    The form is made once per distinct text. Only forms with several spellings are joined, spelling
+    to other spelling first, so that equal texts never meet; then each side to its records, salted,
+    since one spelling may be that of a third of all records.
     """
     parts = [regions.select(F.lit(x).alias("field"), F.col("region_key").alias("key"), F.col(x).alias("text")) for x in ("source_text", "target_text")]
     parts.append(cases.select(F.lit("accept").alias("field"), F.col("case_no").alias("key"), F.explode("accept").alias("text")).distinct())
     texts = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("text is not null")
     spelt = with_form(texts.select("field", "text").distinct(), "text").where("form is not null")
-    several = spelt.groupBy("field", "form").agg(F.collect_list("text").alias("spellings")).where("size(spellings) > 1")
-    by_text = several.select("field", F.explode("spellings").alias("text"), F.xxhash64("form").alias("h"), "form")
-    held = texts.join(by_text, ["field", "text"])
-    a, b = (held.select("field", "h", "form", F.col("key").alias(f"key_{x}"), F.col("text").alias(f"text_{x}")) for x in "ab")
-    pairs = a.join(b, ["field", "h", "form"]).where("key_a < key_b and text_a != text_b").select("field", "key_a", "key_b")
+    several = spelt.groupBy("field", "form").agg(F.count("*").alias("n")).where("n > 1").select("field", "form")
+    spelt = checkpointed(spelt.join(several, ["field", "form"]))
+    a, b = (spelt.select("field", "form", F.col("text").alias(f"text_{x}")) for x in "ab")
+    other = a.join(b, ["field", "form"]).where("text_a <> text_b").select("field", "text_a", "text_b")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    held = texts.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    left = held.select("field", F.col("key").alias("key_a"), F.col("text").alias("text_a"), "salt").join(other.withColumn("salt", salts), ["field", "text_a", "salt"])
+    left = left.select("field", "key_a", "text_b").withColumn("salt", salts)
+    pairs = left.join(held.select("field", F.col("key").alias("key_b"), F.col("text").alias("text_b"), "salt"), ["field", "text_b", "salt"])
+    pairs = pairs.where("key_a < key_b").select("field", "key_a", "key_b")
     accept = pairs.where("field = 'accept'").distinct()
-    return pairs.where("field != 'accept'").unionByName(accept)
+    return pairs.where("field <> 'accept'").unionByName(accept)

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,14 +32,16 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LONGEST_KEPT = 64
 #: A worker remembers no more resolved pre-tokens than this; at the next batch it starts afresh.
 MOST_KEPT = 400_000
+#: Bytes of text encoded together; a longer text is encoded alone.
+BYTES_AT_ONCE = 8_000_000
 WRAP = 0xFFFFFFFFFFFFFFFF
 TOKENIZERS = os.environ.get("GLYPHMILL_TOKENIZERS", "/opt/tokenizers")
 
 
 def read_ranks(path: str) -> list[bytes]:
     """Byte strings of a rank file in id order."""
-    pairs = (line.split() for line in open(path, "rb") if line.strip())
-    ranks = sorted((int(rank), base64.b64decode(text)) for text, rank in pairs)
+    with open(path, "rb") as lines:
+        ranks = sorted((int(rank), base64.b64decode(text)) for text, rank in (line.split() for line in lines if line.strip()))
     if [r for r, _ in ranks] != list(range(len(ranks))):
         raise ValueError(f"{path}: ranks are not 0..n-1")
     return [text for _, text in ranks]
@@ -170,6 +173,32 @@ class Encoder:
         return [i for token in self.find(text or "") for i in self.resolve(token)]
 
 
+class Ragged:
+    """Id lists end to end in an array that doubles as it grows."""
+
+    def __init__(self):
+        self.ids, self.used = np.empty(1024, dtype=np.int32), 0
+        self.start, self.many = np.zeros(1024, dtype=np.int64), 0
+
+    def append(self, ids: list[int]) -> int:
+        end = self.used + len(ids)
+        if end > len(self.ids):
+            self.ids = np.resize(self.ids, max(end, 2 * len(self.ids)))
+        if self.many + 2 > len(self.start):
+            self.start = np.resize(self.start, 2 * len(self.start))
+        self.ids[self.used : end] = ids
+        self.used, self.many = end, self.many + 1
+        self.start[self.many] = end
+        return self.many - 1
+
+    def gather(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of the lists ``which``, in order."""
+        lengths = self.start[which + 1] - self.start[which]
+        ends = np.cumsum(lengths)
+        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[which] - ends + lengths, lengths)
+        return lengths, self.ids[take]
+
+
 class Resolved(dict):
     """Pre-token to its number in a growing table of id lists.
 
@@ -180,57 +209,50 @@ class Resolved(dict):
     def __init__(self, encoder: Encoder):
         super().__init__()
         self.encoder = encoder
-        self.flat: list[int] = []
-        self.start = [0]
+        self.kept = Ragged()
         self.forget()
 
     def forget(self) -> None:
-        self.once_flat: list[int] = []
-        self.once_start = [0]
+        self.once = Ragged()
 
     def __missing__(self, token: str) -> int:
         ids = self.encoder.resolve(token)
         if len(token) > LONGEST_KEPT or len(self) >= MOST_KEPT:
-            self.once_flat.extend(ids)
-            self.once_start.append(len(self.once_flat))
-            return 1 - len(self.once_start)
-        number = len(self.start) - 1
-        self.flat.extend(ids)
-        self.start.append(len(self.flat))
-        self[token] = number
+            return -1 - self.once.append(ids)
+        self[token] = number = self.kept.append(ids)
         return number
 
 
 class BatchEncoder:
     def __init__(self, path: str):
         self.encoder = Encoder(path)
-        self._reset()
-
-    def _reset(self) -> None:
         self.seen = Resolved(self.encoder)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets and values of the id lists of ``texts``."""
         if len(self.seen) >= MOST_KEPT:
-            self._reset()
+            self.seen = Resolved(self.encoder)
         find, seen = self.encoder.find, self.seen
         numbers: list[int] = []
         ends = np.zeros(len(texts) + 1, dtype=np.int64)
         for k, text in enumerate(texts):
             if text:
-                tokens = find(text)
-                numbers += map(seen.__getitem__, tokens)
+                numbers += map(seen.__getitem__, find(text))
             ends[k + 1] = len(numbers)
-        flat = np.asarray(seen.flat + seen.once_flat, dtype=np.int32)
-        kept = len(seen.start) - 1
-        start = np.concatenate((seen.start, np.asarray(seen.once_start[1:], dtype=np.int64) + seen.start[-1]))
         which = np.asarray(numbers, dtype=np.int64)
-        which = np.where(which < 0, kept - 1 - which, which)
-        seen.forget()
-        lengths = start[which + 1] - start[which]
+        once = which < 0
+        lengths, flat = seen.kept.gather(np.where(once, 0, which) if seen.kept.many else which[:0])
+        if once.any():
+            # the few that are not remembered are set between the others
+            lengths = np.zeros(len(which), dtype=np.int64)
+            lengths[~once], kept = seen.kept.gather(which[~once])
+            lengths[once], rare = seen.once.gather(-1 - which[once])
+            flat = np.empty(lengths.sum(), dtype=np.int32)
+            mask = np.repeat(once, lengths)
+            flat[mask], flat[~mask] = rare, kept
+            seen.forget()
         out_end = np.concatenate(([0], np.cumsum(lengths)))
-        take = np.repeat(start[which] - out_end[:-1], lengths) + np.arange(out_end[-1])
-        return out_end[ends].astype(np.int32), flat[take] if len(flat) else flat
+        return out_end[ends], flat
 
 
 _encoders: dict[str, BatchEncoder] = {}
@@ -243,6 +265,16 @@ def batch_encoder(path: str) -> BatchEncoder:
     return _encoders[path]
 
 
+def parts(lengths: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of about `BYTES_AT_ONCE`, so that offsets fit and memory is bounded."""
+    ends = np.cumsum(lengths, dtype=np.int64)
+    a = 0
+    while a < len(lengths):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BYTES_AT_ONCE, side="right")))
+        yield a, b
+        a = b
+
+
 def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFrame:
     """``key`` and ``ids`` of every row; nulls and empty texts give empty lists.
 
@@ -253,9 +285,12 @@ def encode_corpus(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = batch_encoder(vocabulary)
         for batch in batches:
-            ends, values = encode(batch.column(1).to_pylist())
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=["doc_id", "ids"])
+            lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for a, b in parts(lengths):
+                part = batch.slice(a, b - a)
+                ends, values = encode(part.column(1).to_pylist())
+                ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[key, "ids"])
 
     kind = dict(df.dtypes)[key]
-    return spread(df.select(key, text)).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return spread(df.select(key, text)).mapInArrow(run, f"{key} {kind}, ids array<int>")

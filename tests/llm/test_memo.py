@@ -11,4 +11,4 @@ def test_long_and_surplus_pre_tokens_are_not_remembered(monkeypatch):
         ends, values = encode(texts)
         got = [list(values[a:b]) for a, b in zip(ends, ends[1:])]
         assert got == [encode.encoder.encode(t) for t in texts]
-        assert long not in encode.seen and len(encode.seen) <= 3 and not encode.seen.once_flat
+        assert long not in encode.seen and len(encode.seen) <= 3 and not encode.seen.once.many
