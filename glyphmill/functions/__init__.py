@@ -1 +1 @@
-"""Column functions built from built-in expressions."""
+"""Column functions: region predicates, boxes, scripts, numbers, Persian text, reply protocol, digests."""

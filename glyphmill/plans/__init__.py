@@ -2,21 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
-from pyspark.sql import DataFrame, SparkSession
+from glyphmill.plans.registry import Query
 
-from glyphmill.operators.records import broken_records
-from glyphmill.session import table
+MODULES = ["parsing", "gate"]
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return broken_records(table(spark, sf_dir, "worksheet_raw"))
+def _registers() -> list:
+    return [import_module(f"glyphmill.plans.{m}").query for m in MODULES]
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found,)}
+def queries() -> dict[str, Query]:
+    return {k: v for r in _registers() for k, v in r.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for r in _registers() for k, v in r.sql.items()}
