@@ -17,8 +17,13 @@ def _yes(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(False))
 
 
+def stripped(text: Column | str) -> Column:
+    """Without Unicode white space at either end."""
+    return F.regexp_replace(text, r"(?U)\A\s++|\s++\z", "")
+
+
 def has_text(name: str) -> Column:
-    return F.trim(F.coalesce(F.col(name), F.lit(""))) != ""
+    return F.coalesce(F.col(name), F.lit("")).rlike(r"(?U)\S")
 
 
 def translatable(policy: str = "policy") -> Column:

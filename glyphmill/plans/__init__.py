@@ -6,7 +6,7 @@ from importlib import import_module
 
 from glyphmill.plans.registry import Query
 
-MODULES = ["parsing", "gate"]
+MODULES = ["parsing", "gate", "context"]
 
 
 def _registers() -> list:

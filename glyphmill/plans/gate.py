@@ -85,7 +85,7 @@ def findings(df: DataFrame) -> dict[str, DataFrame]:
         "source-script-left": owed & target & (scripts.source_left(counted) > 0),
         "clean-refused": live & F.coalesce(F.col("clean_status") == "refused", F.lit(False)),
         "erase-unfinished": F.coalesce("erase", F.lit(False)) & live & (F.coalesce("clean_status", F.lit("")) != "clean"),
-        "compressed-variant": owed & target & states.has_text("target_full") & (F.trim("target_full") != F.trim("target_text")),
+        "compressed-variant": owed & target & states.has_text("target_full") & (states.stripped("target_full") != states.stripped("target_text")),
         "low-confidence-region": live & F.coalesce(F.col("confidence") < 0.5, F.lit(False)) & ~F.coalesce("locked", F.lit(False)),
         "sfx-untranslated": live & ~F.coalesce("keep", F.lit(False)) & ~F.coalesce("erase", F.lit(False)) & F.coalesce(F.col("kind") == "sfx", F.lit(False)) & ~owed,
     }

@@ -6,6 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Unicode white space for the SQL's expressions; its own trim() takes other characters.
+SPACE = r"[\t-\r \x85\p{Z}]+"
+
+
+def whole_trim(sql: str) -> str:
+    """``sql`` with every trim(x) taking all Unicode white space."""
+    at = 0
+    while (start := sql.find("trim(", at)) >= 0:
+        depth, end = 1, start + 5
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+        inner = whole_trim(sql[start + 5 : end - 1])
+        made = f"regexp_replace({inner}, '^{SPACE}|{SPACE}$', '', 'g')"
+        sql = sql[:start] + made + sql[end:]
+        at = start + len(made)
+    return sql
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -18,7 +37,7 @@ class Register:
         def add(query: Query) -> Query:
             self.queries[query.__name__] = query
             if sql:
-                self.sql[query.__name__] = sql
+                self.sql[query.__name__] = whole_trim(sql)
             return query
 
         return add

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.session import table
 
+
 REGIONS = """
 regions AS (
   SELECT t.*, coalesce(c.sfx_policy, 'keep') AS policy, lower(c.source_language) AS source_language, c.target_language, c.reading_direction
