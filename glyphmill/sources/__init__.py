@@ -1 +1 @@
-"""Readers and writers."""
+"""Readers and writers of page containers, banks, documents, replies and review sheets."""
