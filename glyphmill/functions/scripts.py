@@ -19,7 +19,7 @@ LANGUAGES = {"fa": ["arabic"], "ar": ["arabic"], "fas": ["arabic"], "per": ["ara
 
 
 def count(text: Column, script: str) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{RANGES[script]}]", "")).cast("long")
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), f"[^{RANGES[script]}]+", "")).cast("long")
 
 
 def counts(text: Column) -> dict[str, Column]:

@@ -6,9 +6,9 @@ order (greedy suppression, banding) folds over the boxes of one page, which are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,46 +137,68 @@ def reading_places(boxes: list[tuple], leftward: bool, tolerance: float = 0.35)
     return out
 
 
-def reading_order(df: DataFrame, page: list[str], key: str, box: str, panel: str, leftward: str) -> DataFrame:
-    """``key`` and ``place``: panels by their own order, regions without one last.
+def fold_pages(df: DataFrame, page: list[str], key: str, columns: list[str], function: Callable[[list[dict]], list], out: str, kind: str) -> DataFrame:
+    """``key`` and ``out``: what ``function`` makes of the rows of each page, in order of the key.
 
-    A panel's box is the hull of its regions. One page goes to one task; a page holds few regions.
+    A page is gathered into one row by the JVM, so Python gets batches of many pages; a page holds
+    few regions by nature.
     """
-    kind = dict(df.dtypes)[key]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = bool(pdf[leftward].iloc[0])
-        pdf = pdf.sort_values(key, kind="stable")
-        rows = [tuple(b) if b is not None and len(b) == 4 else (0, 0, 0, 0) for b in pdf[box]]
-        groups: dict = {}
-        for i, p in enumerate(pdf[panel]):
-            groups.setdefault(p if isinstance(p, str) else None, []).append(i)
-        named = [p for p in groups if p is not None]
-        hulls = []
-        for p in named:
-            own = [rows[i] for i in groups[p]]
-            x, y = min(r[0] for r in own), min(r[1] for r in own)
-            hulls.append((x, y, max(r[0] + r[2] for r in own) - x, max(r[1] + r[3] for r in own) - y))
-        places = reading_places(hulls, left)
-        sequence = [p for _, p in sorted(zip(places, named))] + ([None] if None in groups else [])
-        out, done = [0] * len(rows), 0
-        for p in sequence:
-            own = groups[p]
-            for i, place in zip(own, reading_places([rows[i] for i in own], left)):
-                out[i] = done + place
-            done += len(own)
-        return pd.DataFrame({key: pdf[key].to_numpy(), "place": out})
-
-    return df.select(*page, key, box, panel, leftward).groupBy(*page).applyInPandas(fold, f"{key} {kind}, place int")
-
-
-def suppressed(df: DataFrame, page: list[str], key: str, box: str, order: list[str]) -> DataFrame:
-    """``key`` and ``kept`` of a greedy suppression over each page, in the given order."""
-    kind = dict(df.dtypes)[key]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*order, key], ascending=[False] * len(order) + [True], kind="stable")
-        rows = [tuple(map(int, b)) if b is not None and len(b) == 4 else (0, 0, 0, 0) for b in pdf[box]]
-        return pd.DataFrame({key: pdf[key].to_numpy(), "kept": suppress(rows)})
-
-    return df.select(*page, key, box, *order).groupBy(*page).applyInPandas(fold, f"{key} {kind}, kept boolean")
+    rows = df.select(*page, F.struct(key, *columns).alias("r")).groupBy(*page).agg(F.array_sort(F.collect_list("r")).alias("rows")).select("rows")
+    types = {"int": pa.int32(), "boolean": pa.bool_()}
+    name = dict(df.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, made = [], []
+            for rows in batch.column(0).to_pylist():
+                keys += [r[key] for r in rows]
+                made += function(rows)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type.value_type.field(key).type), pa.array(made, types[kind])], names=[key, out])
+
+    return rows.mapInArrow(run, f"{key} {name}, {out} {kind}")
+
+
+def _box(value: list | None) -> tuple:
+    return tuple(map(int, value)) if value is not None and len(value) == 4 else (0, 0, 0, 0)
+
+
+def page_places(boxes: list[tuple], panels: list[str | None], leftward: bool) -> list[int]:
+    """Places of a page's regions: panels by their hulls first, in each the regions, those without a panel last."""
+    groups: dict[str | None, list[int]] = {}
+    for i, p in enumerate(panels):
+        groups.setdefault(p, []).append(i)
+    named = [p for p in groups if p is not None]
+    hulls = []
+    for p in named:
+        own = [boxes[i] for i in groups[p]]
+        x, y = min(r[0] for r in own), min(r[1] for r in own)
+        hulls.append((x, y, max(r[0] + r[2] for r in own) - x, max(r[1] + r[3] for r in own) - y))
+    sequence = [p for _, p in sorted(zip(reading_places(hulls, leftward), named))] + [None] * (None in groups)
+    out, done = [0] * len(boxes), 0
+    for p in sequence:
+        for i, place in zip(groups[p], reading_places([boxes[i] for i in groups[p]], leftward)):
+            out[i] = done + place
+        done += len(groups[p])
+    return out
+
+
+def reading_order(df: DataFrame, page: list[str], key: str, box: str, panel: str, leftward: str) -> DataFrame:
+    """``key`` and ``place``: panels by their own order, regions without one last."""
+
+    def fold(rows: list[dict]) -> list[int]:
+        return page_places([_box(r[box]) for r in rows], [r[panel] for r in rows], bool(rows[0][leftward]))
+
+    return fold_pages(df, page, key, [box, panel, leftward], fold, "place", "int")
+
+
+def suppressed(df: DataFrame, page: list[str], key: str, box: str, order: str) -> DataFrame:
+    """``key`` and ``kept`` of a greedy suppression over each page, the largest ``order`` first."""
+
+    def fold(rows: list[dict]) -> list[bool]:
+        best = sorted(range(len(rows)), key=lambda i: (-rows[i][order], i))
+        out = [False] * len(rows)
+        for i, kept in zip(best, suppress(_box(rows[i][box]) for i in best)):
+            out[i] = kept
+        return out
+
+    return fold_pages(df, page, key, [box, order], fold, "kept", "boolean")

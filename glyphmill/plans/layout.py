@@ -111,7 +111,7 @@ def effect_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def suppressed_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy suppression of overlapping detections, the surest first."""
     df = table(spark, sf_dir, "text_region").withColumn("sure", F.coalesce("confidence", F.lit(0.0)))
-    return L.suppressed(df, PAGE, "region_key", "bbox", ["sure"])
+    return L.suppressed(df, PAGE, "region_key", "bbox", "sure")
 
 
 @query()

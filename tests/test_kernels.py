@@ -85,13 +85,15 @@ def test_bands_and_reading_places():
     grid = [(0, 0, 10, 10), (20, 1, 10, 10), (0, 30, 10, 10), (20, 29, 10, 10)]
     assert layout.reading_places(grid, False) == [1, 2, 3, 4] and layout.reading_places(grid, True) == [2, 1, 4, 3]
     assert layout.reading_places([], True) == []
+    # the right panel is read first leftward; what has no panel comes last
+    assert layout.page_places([(0, 0, 10, 10), (50, 0, 10, 10), (50, 30, 10, 10), (20, 0, 5, 5)], ["a", "b", "b", None], True) == [3, 1, 2, 4]
 
 
 def test_suppression_keeps_the_surer(spark):
     assert layout.suppress([(0, 0, 10, 10), (1, 1, 10, 10), (2, 2, 3, 3), (50, 50, 5, 5)]) == [True, False, False, True]
     rows = [("p", 1, [0, 0, 10, 10], 0.2), ("p", 2, [1, 1, 10, 10], 0.9), ("q", 3, None, 0.5)]
     df = spark.createDataFrame(rows, "page string, k bigint, box array<int>, sure double")
-    assert {r.k: r.kept for r in layout.suppressed(df, ["page"], "k", "box", ["sure"]).collect()} == {1: False, 2: True, 3: True}
+    assert {r.k: r.kept for r in layout.suppressed(df, ["page"], "k", "box", "sure").collect()} == {1: False, 2: True, 3: True}
 
 
 def test_clusters_equal_union_find(spark):
