@@ -3,8 +3,8 @@
 The form keeps what is seen: case, punctuation, accents, digits, joining and spacing. It folds
 width, ready-shaped Arabic letters, Kangxi radicals, ligatures, composed and decomposed accents,
 look-alike letters of other scripts and space characters of other widths, and drops what shows
-nothing. A non-joiner shows only between two letters that would join; Arabic yeh and kaf show as
-the Persian ones only where they join on; Arabic digits 4, 5 and 6 show as themselves.
+nothing. A non-joiner shows only between two letters that would join; Arabic yeh and kaf are read
+and shown as the Persian ones; Arabic digits 4, 5 and 6 show as themselves.
 """
 
 from __future__ import annotations
@@ -27,9 +27,8 @@ RIGHT = "\u0622-\u0625\u0627\u0629\u062f-\u0632\u0648\u0671-\u0673\u0675-\u0677\
 DUAL = "\u0620\u0626\u0628\u062a-\u062e\u0633-\u0647\u0649\u064a\u066e\u066f\u0678-\u0687\u069a-\u06bf\u06c1\u06c2\u06cc\u06ce\u06d0\u06d1\u06fa-\u06fc\u06ff"
 MARK = "\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e4\u06e7\u06e8\u06ea-\u06ed"
 SEEN_BREAK = re.compile(f"([{DUAL}][{MARK}]*){BREAK}+(?=[{MARK}]*[{DUAL}{RIGHT}])")
-JOINED_YEH_KAF = re.compile(f"[\u064a\u0643](?=[{MARK}]*[{DUAL}{RIGHT}])")
 LAST_ALEF_MAKSURA = re.compile(f"\u0649(?![{MARK}]*[{DUAL}{RIGHT}])")
-YEH_KAF = {"\u064a": "\u06cc", "\u0643": "\u06a9"}
+YEH_KAF = str.maketrans({"\u064a": "\u06cc", "\u0643": "\u06a9"})
 #: Letters of other scripts that show as a Latin one, and kana and Han that show as one another.
 LOOK_ALIKE = dict(
     zip(
@@ -46,7 +45,7 @@ def _unfolded(ch: str) -> str | None:
     code, kind = ord(ch), unicodedata.category(ch)
     if ch in LOOK_ALIKE:
         return LOOK_ALIKE[ch]
-    if ch in "\u200b\u2066\u2067\u2068\u2069":  # they show nothing, but letters do not join across
+    if ch in "\u2066\u2067\u2068\u2069":  # they show nothing, but letters do not join across
         return BREAK
     if ch == BREAK:
         return None
@@ -95,7 +94,7 @@ def glyph_form(text: str | None) -> str | None:
         form = unicodedata.normalize("NFC", unicodedata.normalize("NFC", form).translate(_table))
         if not form.isascii():
             form = SEEN_BREAK.sub(f"\\1{KEPT}", form).replace(BREAK, "")
-            form = JOINED_YEH_KAF.sub(lambda m: YEH_KAF[m[0]], form)
+            form = form.translate(YEH_KAF)
             form = LAST_ALEF_MAKSURA.sub("\u06cc", form).replace(KEPT, BREAK)
             form = form.replace("\u06cc\u0654", "\u0626")
     form = form.strip()
