@@ -38,6 +38,8 @@ MOST_KEPT = 300_000
 #: Characters taken together; a longer document is taken alone.
 TEXT_AT_ONCE = 2_000_000
 RIDGE = 1e-3
+#: Newton's method ends after so many steps at the latest.
+STEPS = 60
 #: Least share of function words in prose of a language.
 FUNCTION_WORDS = 0.08
 LEVELS = (1, 2, 3, 4)
@@ -168,19 +170,30 @@ class Ordinal:
         self.scale = np.stack([features[lang == k].std(axis=0) + 1e-6 if (lang == k).any() else np.ones(features.shape[1]) for k in (EN, FA)])
         x = self._design(features, lang)
         above = (level[:, None] > np.asarray(LEVELS[:-1])[None, :]).astype(float)
-        share = np.clip((above * weight[:, None]).sum(axis=0) / weight.sum(), 0.02, 0.98)
-        cut = np.log(share / (1 - share))
-        w = np.zeros(x.shape[1])
-        steps = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(cut), np.zeros_like(cut)]
-        for t in range(1, 601):
-            p = 1 / (1 + np.exp(-np.clip((x @ w)[:, None] + cut[None, :], -30, 30)))
-            err = (p - above) * weight[:, None] / weight.sum()
-            for k, (value, grad) in enumerate(((w, x.T @ err.sum(axis=1) + RIDGE * w), (cut, err.sum(axis=0)))):
-                m, v = steps[2 * k], steps[2 * k + 1]
-                m += 0.1 * (grad - m)
-                v += 0.01 * (grad * grad - v)
-                value -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
-        self.w, self.cut = w, np.sort(cut)[::-1]
+        weight = weight / weight.sum()
+        share = np.clip((above * weight[:, None]).sum(axis=0), 0.02, 0.98)
+        theta = np.concatenate([np.zeros(x.shape[1]), np.log(share / (1 - share))])
+        ridge = np.concatenate([np.full(x.shape[1], RIDGE), np.full(len(share), RIDGE / 100)])
+        n = x.shape[1]
+
+        def loss(t: np.ndarray) -> float:
+            z = (x @ t[:n])[:, None] + t[None, n:]
+            return float((weight[:, None] * (np.logaddexp(0, z) - above * z)).sum() + (ridge * t * t).sum() / 2)
+
+        now = loss(theta)
+        for _ in range(STEPS):  # Newton's method; a step that does not lower the loss is halved
+            p = 1 / (1 + np.exp(-np.clip((x @ theta[:n])[:, None] + theta[None, n:], -30, 30)))
+            err, curve = (p - above) * weight[:, None], p * (1 - p) * weight[:, None]
+            grad = np.concatenate([x.T @ err.sum(axis=1), err.sum(axis=0)]) + ridge * theta
+            cross = x.T @ curve
+            hess = np.block([[(x * curve.sum(axis=1)[:, None]).T @ x, cross], [cross.T, np.diag(curve.sum(axis=0))]]) + np.diag(ridge)
+            step, size = np.linalg.solve(hess, grad), 1.0
+            while size > 1e-4 and (then := loss(theta - size * step)) >= now:
+                size /= 2
+            if size <= 1e-4 or now - then < 1e-9:
+                break
+            theta, now = theta - size * step, then
+        self.w, self.cut = theta[:n], np.sort(theta[n:])[::-1]
         return self
 
     def _design(self, features: np.ndarray, lang: np.ndarray) -> np.ndarray:
