@@ -15,15 +15,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.session import spread
+from glyphmill.session import checkpointed, spread
 
 #: A prompt counts as copied from this share of its letters and digits on.
 COPIED = 0.9
@@ -68,19 +69,19 @@ FOLD = {"ي": "ی", "ى": "ی", "ك": "ک"}
 MARKS = ".!?؟。！？．｡۔"
 CUT_OFF = "—–-…‥"
 SENTENCE = re.compile(f"(?<!\\.)(?:[{re.escape(MARKS)}](?!\\.))+|\\.{{4,}}")
-WRAPPED = "\"'»«”“’‘)）]」』】*_~ \t\n"
+#: What may stand after the last mark: closing quotes and brackets, white space, characters that do not show.
+WRAPPED = "\"'»«”“’‘)）]」』】*_~ \t\n\r\u3000\u00a0\u202f\u2007\u00ad\ufeff" + "".join(map(chr, [*range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2070)]))
+NOT_BARE = re.compile(r"[\W_]+")
+LETTERS = re.compile(r"[^\W\d_]")
+OWN_LETTERS = re.compile("[\u0621-\u064a\u066e-\u06d3\u06d5\u06ee-\u06ef\u06fa-\u06ff]")
+CLAUSE = re.compile(f"[{re.escape(MARKS)}\n]+(?=\\s|$)|[。！？]+")
+DELIMITERS = re.compile("[\\[({})\\]«»“”「」『』【】（）]")
 PAIRS = dict(zip("([{«“「『【（", ")]}»”」』】）", strict=True))
 
 
-def _single_forms() -> tuple[str, str]:
-    """Characters and what they show as, for translate(); those without a partner are dropped."""
-    one: dict[str, str] = dict(FOLD)
-    for code in [*range(0xFB50, 0xFE00), *range(0xFE70, 0xFEFD)]:
-        form = unicodedata.normalize("NFKC", chr(code))
-        if len(form) == 1 and form != chr(code):
-            one[chr(code)] = FOLD.get(form, form)
-    gone = [chr(c) for c in [0xAD, 0x200B, 0x200C, 0x200D, 0x200E, 0x200F, 0x2060, 0xFEFF, *range(0x64B, 0x653), 0x640]]
-    return "".join(one) + "".join(gone), "".join(one.values())
+PLAIN = str.maketrans(FOLD | dict.fromkeys(map(chr, [0xAD, 0x640, *range(0x200B, 0x2010), 0x2060, 0xFEFF, *range(0x64B, 0x653)])))
+FIGURES = re.compile(r"\d+")
+WORD_OR_END = re.compile(f"[{re.escape(MARKS)}]+|(?:[^\\W\\d_]|#)+")
 
 
 class Suffixes:
@@ -134,7 +135,7 @@ class Suffixes:
 
 def bare(text: str) -> str:
     """Letters and digits alone, in one width and case."""
-    return "".join(c for c in unicodedata.normalize("NFKC", text).casefold() if c.isalnum())
+    return NOT_BARE.sub("", unicodedata.normalize("NFKC", text).casefold() if not text.isascii() else text.lower())
 
 
 def copied(prompt: str, response: str) -> float:
@@ -159,7 +160,7 @@ def _automaton() -> ahocorasick.Automaton:
     for bit, phrases in ((1, DECLINE), (2, TASK)):
         for phrase in phrases.split("|"):
             if phrase.strip():
-                found.add_word(phrase.strip(), (bit, phrase.strip()))
+                found.add_word(phrase.strip(), bit)
     found.make_automaton()
     return found
 
@@ -182,21 +183,22 @@ class Judge:
 
     def _declines(self, text: str) -> bool:
         """Whether some sentence declines a task of translating."""
-        for sentence in re.split(f"[{re.escape(MARKS)}\n]+(?=\\s|$)|[。！？]+", folded(text)):
-            bits = 0
-            for _, (bit, _phrase) in self.phrases.iter(sentence):
-                bits |= bit
-            if bits == 3:
-                return True
-        return False
+        whole = folded(text)
+        return self._bits(whole) == 3 and any(self._bits(s) == 3 for s in CLAUSE.split(whole))
+
+    def _bits(self, text: str) -> int:
+        """1 for a phrase that declines, 2 for one of a task, 3 for both."""
+        bits = 0
+        for _, bit in self.phrases.iter(text):
+            bits |= bit
+        return bits
 
     def persian(self, text: str) -> bool:
         form = unicodedata.normalize("NFKC", text)
-        letters = [c for c in form if c.isalpha()]
+        letters = len(LETTERS.findall(form))
         if not letters:
             return True  # figures alone belong to no language
-        own = sum("؀" <= c <= "ۿ" for c in letters)
-        if own * 2 < len(letters):
+        if len(OWN_LETTERS.findall(form)) * 2 < letters:
             return False
         score = dict.fromkeys(STOP_WORDS, 0.0)
         score["fa"] += 0.5 * len(re.findall("[پچژگ]|‌", form))
@@ -213,7 +215,7 @@ class Judge:
     def open_end(self, text: str) -> bool:
         """Whether a bracket or quote is still open at the end."""
         stack = []
-        for c in text:
+        for c in DELIMITERS.findall(text):
             if c in PAIRS:
                 stack.append(PAIRS[c])
             elif stack and c == stack[-1]:
@@ -261,23 +263,39 @@ def marked_sentences(text: str) -> int:
 
 def last(text: str) -> str:
     """The last character that shows, outside closing quotes; an ellipsis counts as one."""
-    shown = "".join(c for c in text if unicodedata.category(c) != "Cf").rstrip(WRAPPED)
+    shown = text.rstrip(WRAPPED)
     return "…" if shown.endswith("..") else shown[-1:] or " "
 
 
-def _words(text: Column) -> Column:
-    """Words with figures as #, ¶ where a sentence ends, | at other marks."""
-    old, new = _single_forms()
-    form = F.translate(F.lower(text), old, new)
-    form = F.regexp_replace(form, r"[\p{Nd}]+", "#")
-    form = F.regexp_replace(form, f"[{re.escape(MARKS)}]+", " ¶ ")
-    form = F.regexp_replace(form, r"[^\p{L}\p{M}#¶]+", " ")
-    return F.split(F.trim(form), " +")
+def ending_words(text: str) -> list[str]:
+    """Words with figures as #, and ¶ at the start and wherever a sentence ends."""
+    form = unicodedata.normalize("NFKC", text).casefold().translate(PLAIN)
+    form = WORD_OR_END.findall(FIGURES.sub("#", form))
+    return ["¶", *("¶" if w[0] in MARKS else w for w in form)]
+
+
+def _count_endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per batch: words and pairs of neighbouring words, how often, and how often a sentence ends after them."""
+    for batch in batches:
+        seen: Counter = Counter()
+        for text in batch.column(0).to_pylist():
+            w = ending_words(text)
+            seen.update(zip(w, w[1:], [x == "¶" for x in w[2:]]))
+        keys: dict[str, list[int]] = {}
+        for (a, b, end), n in seen.items():
+            for k in ((b,) if a == "¶" else (b, f"{a} {b}")) if b != "¶" else ():
+                total = keys.setdefault(k, [0, 0])
+                total[0] += n
+                total[1] += n * end
+        columns = [pa.array(keys.keys(), pa.string()), *(pa.array([v[i] for v in keys.values()], pa.int64()) for i in (0, 1))]
+        yield pa.RecordBatch.from_arrays(columns, names=["k", "n", "ends"])
 
 
-def _endings(words: Column) -> tuple[Column, Column]:
-    """Last two words and last word, as keys."""
-    return F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), 2), " "), F.element_at(words, -1)
+def _last_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        tails = [ending_words(t)[-2:] for t in batch.column(2).to_pylist()]
+        two = pa.array([" ".join(t) for t in tails], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns, two, pa.array([t[-1] for t in tails], pa.string())], names=[*batch.schema.names, "two", "one"])
 
 
 def broken_pairs(df: DataFrame, key: str, prompt: str, response: str) -> DataFrame:
@@ -286,19 +304,12 @@ def broken_pairs(df: DataFrame, key: str, prompt: str, response: str) -> DataFra
     pairs = pairs.where(F.col("prompt").rlike(r"[\p{L}\p{N}]"))
     closed = F.col("response").rlike(f"[{re.escape(MARKS)}][^\\p{{L}}\\p{{N}}]*$") | ~F.coalesce(F.col("response"), F.lit("")).rlike(r"[\p{L}\p{N}]")
     closed = F.coalesce(closed, F.lit(True))
-    said = pairs.select(_words(F.col("response")).alias("w")).where("size(w) > 1")
-    steps = F.transform(
-        F.sequence(F.lit(1), F.size("w")),
-        lambda i: F.struct(F.element_at("w", i).alias("b"), F.try_element_at("w", i - 1 + (i == 1).cast("int") * 1_000_000).alias("a"), F.try_element_at("w", i + 1).alias("c")),
-    )
-    seen = said.select(F.explode(steps).alias("s")).select("s.*").where("b <> '¶' and c is not null")
-    seen = seen.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum((F.col("c") == "¶").cast("long")).alias("ends"))
-    both = seen.where("a is not null and a <> '¶'").select(F.concat_ws(" ", "a", "b").alias("k"), "n", "ends").unionByName(seen.select(F.col("b").alias("k"), "n", "ends"))
-    known = both.groupBy("k").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
-
-    unmarked = pairs.where(~closed).withColumn("w", _words(F.col("response")))
-    two, one = _endings(F.col("w"))
-    unmarked = unmarked.withColumns({"two": two, "one": one}).drop("w")
+    said = spread(pairs.where("response is not null").select("response"), 1)
+    known = said.mapInArrow(_count_endings, "k string, n bigint, ends bigint").groupBy("k").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+    known = checkpointed(known)  # it is joined twice
+
+    kind = dict(pairs.dtypes)["key"]
+    unmarked = pairs.where(~closed).mapInArrow(_last_words, f"key {kind}, prompt string, response string, two string, one string")
     wanted = unmarked.select("two", "one").distinct()
     verdict = (
         wanted.join(known.select(F.col("k").alias("two"), F.col("n").alias("n2"), F.col("ends").alias("e2")), "two", "left")
@@ -318,4 +329,4 @@ def broken_pairs(df: DataFrame, key: str, prompt: str, response: str) -> DataFra
             out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.string())], names=[key, "defect"])
             yield out.filter(out.column(1).is_valid())
 
-    return rows.mapInArrow(run, f"{key} {dict(pairs.dtypes)['key']}, defect string")
+    return rows.mapInArrow(run, f"{key} {kind}, defect string")
