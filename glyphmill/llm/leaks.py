@@ -22,6 +22,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -245,9 +246,9 @@ def leaks(documents: DataFrame, cases: DataFrame, key: str = "doc_id", text: str
     """``key`` and ``case_id`` of each document and each case that it gives away."""
     read = documents.select(F.col(key), F.col(text))
     rows = cases.where("id is not null").select("id", "context", "source", "gloss", F.get("accept", F.lit(0)).alias("first")).orderBy("id")
-    held = [(r.id, r.context, r.source, [x for x in (r.gloss, r.first) if x]) for r in rows.toLocalIterator()]
+    held = tuple((r.id, r.context, r.source, tuple(x for x in (r.gloss, r.first) if x)) for r in rows.toLocalIterator())
     kind = dict(read.dtypes)[key]
-    slices = [held[i : i + ITEMS_AT_ONCE] for i in range(0, len(held), ITEMS_AT_ONCE)] or [[]]
+    slices = [held[i : i + ITEMS_AT_ONCE] for i in range(0, len(held), ITEMS_AT_ONCE)] or [()]
     out = None
     for part in slices:
         found = spread(read).mapInArrow(_run(part, key), f"{key} {kind}, case_id string")
@@ -255,9 +256,15 @@ def leaks(documents: DataFrame, cases: DataFrame, key: str = "doc_id", text: str
     return out
 
 
-def _run(rows: list, key: str):
+@lru_cache(2)
+def items_of(rows: tuple) -> Items:
+    """One per worker process and slice of items; it outlives the task."""
+    return Items(list(rows))
+
+
+def _run(rows: tuple, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(rows)
+        items = items_of(rows)
         for batch in batches:
             pairs = []
             lengths = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.llm.glyphs import glyph_form
-from glyphmill.llm.terms import Bank, bank_rows, distance, entries
+from glyphmill.llm.terms import bank_of, bank_rows, distance, entries
 from glyphmill.session import checkpointed, spread
 
 RADIUS = 1
@@ -187,9 +187,9 @@ def slips(observed: DataFrame, known: DataFrame) -> DataFrame:
     return met.join(pairs.mapInArrow(run, "word string, near string"), ["word", "near"])
 
 
-def parsed(spellings: DataFrame, bank: list[tuple[str, str | None]]) -> DataFrame:
+def parsed(spellings: DataFrame, bank: tuple[tuple[str, str | None], ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Bank(bank)
+        terms = bank_of(bank)
         for batch in batches:
             rows = []
             for series, spelling, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):

@@ -211,9 +211,15 @@ class Bank:
         return min((c0 for c0, d in best.items() if d == least), default="")
 
 
-def bank_rows(bank: DataFrame) -> list[tuple[str, str | None]]:
+@lru_cache(2)
+def bank_of(rows: tuple[tuple[str, str | None], ...]) -> Bank:
+    """One per worker process and bank; it outlives the task."""
+    return Bank(list(rows))
+
+
+def bank_rows(bank: DataFrame) -> tuple[tuple[str, str | None], ...]:
     """The bank's terms, in order; a reference table of fixed size."""
-    return [(r.c0, r.c1) for r in bank.select("c0", "c1").where("c0 is not null").orderBy("c0").collect()]
+    return tuple((r.c0, r.c1) for r in bank.select("c0", "c1").where("c0 is not null").orderBy("c0", "c1").collect())
 
 
 def entries(propose: Column) -> Column:
@@ -228,7 +234,7 @@ def match_terms(worksheet: DataFrame, bank: DataFrame) -> DataFrame:
     said = worksheet.select("ws_key", F.posexplode(entries(F.col("propose"))).alias("at", "entry"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Bank(rows).find
+        find = bank_of(rows).find
         for batch in batches:
             c0 = pa.array([find(x) for x in batch.column(2).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), c0], names=["ws_key", "entry_no", "c0"])
