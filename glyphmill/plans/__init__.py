@@ -6,7 +6,7 @@ from importlib import import_module
 
 from glyphmill.plans.registry import Query
 
-MODULES = ["parsing", "gate", "context", "pages", "replies", "lexicon", "layout", "evaluation", "measures"]
+MODULES = ["parsing", "gate", "context", "pages", "replies", "lexicon", "layout", "evaluation", "measures", "policy"]
 
 
 def _registers() -> list:
