@@ -33,6 +33,7 @@ def test_variants(spark):
 
 def test_parse():
     assert parse("Bokafi, N.") == ("initial", ["bokafi"], "n")
+    assert parse("A. Gozimi") == parse("Gozimi, A.") == ("initial", ["gozimi"], "a")
     assert parse("The Larkspur Mining Dept.") == ("org", ["larkspur", "mining"], "department")
     assert parse("TRD") == ("acronym", ["trd"], "")
     assert parse("آقای دپورا پاگناسوند") == ("full", ["دپورا", "پاگناسوند"], "")
