@@ -246,7 +246,7 @@ def _ways(entities: DataFrame) -> DataFrame:
                 ways = set()
                 for chosen in product(*([w, *(o or [])] for w, o in zip(words, options, strict=True))):
                     typed = list(chosen)
-                    if shape == "full" and typed[1:] == words[1:] and apart(typed[0], words[0]):
+                    if shape == "full" and apart(typed[0], words[0]):
                         continue
                     ways.add(("slip", key(shape, typed, kind)))
                     if shape == "full":
