@@ -35,16 +35,11 @@ def carried(acknowledged: Column, digest: Column) -> Column:
 
 
 def inflected(phrase: str) -> str:
-    """A pattern of an English phrase whose words may be inflected; an acronym stands as it is, in its case."""
+    """A pattern of a phrase whose last word may be inflected; an acronym stands as it is, in its case."""
     words = phrase.split()
-    if len(words) == 1 and words[0].isupper() and len(words[0]) > 1:
-        return rf"(?<![A-Za-z]){re.escape(words[0])}(?![A-Za-z])"
-
-    def one(word: str) -> str:
-        stem = word[:-1] if len(word) > 3 and word[-1] in "ey" else word
-        return f"{re.escape(stem)}(?:e|y|s|es|ies|d|ed|ied|ing|'s)?"
-
-    return rf"(?i)(?<![A-Za-z]){r'[\s-]+'.join(map(one, words))}(?![A-Za-z])"
+    last = "" if len(words[-1]) <= 2 or words[-1].isupper() else "(?:es|s|ed|ing|d)?"
+    case = "" if words[-1].isupper() else "(?i)"
+    return rf"{case}\b{r'\s+'.join(map(re.escape, words))}{last}\b"
 
 
 def first_alternative(text: Column) -> Column:

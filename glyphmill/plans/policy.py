@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions import boxes as B
 from glyphmill.functions import policy as P
+from glyphmill.functions import prose
 from glyphmill.functions.digests import ordered, text_digest
 from glyphmill.functions.states import has_text, stripped, translatable
 from glyphmill.operators.freshness import stale
@@ -156,7 +157,7 @@ def publication_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(*UNIT, (F.col("errors") == 0).alias("may_publish"), "errors")
 
 
-@query("""SELECT region_key FROM text_region WHERE regexp_matches(coalesce(source_text, ''), '(?i)(^|[^A-Za-z])lantern(e|y|s|es|ies|d|ed|ied|ing|''s)?([^A-Za-z]|$)')""")
+@query("""SELECT region_key FROM text_region WHERE regexp_matches(coalesce(source_text, ''), '(?i)\\blantern(es|s|ed|ing|d)?\\b')""")
 def inflected_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A phrase of the bank in whatever inflection; the pattern is made once, on the driver."""
     return table(spark, sf_dir, "text_region").where(F.coalesce("source_text", F.lit("")).rlike(P.inflected("lantern"))).select("region_key")
@@ -169,3 +170,28 @@ def modified_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = pages(spark, sf_dir).withColumn("fingerprint", F.col("sha256"))
     was = now.where("page_index % 11 <> 0").withColumn("fingerprint", F.when(F.col("page_index") % 7 == 0, "other").otherwise(F.col("sha256")))
     return stale(now, was, PAGE)
+
+
+@query("""WITH h AS (SELECT ws_key, unnest([x.c0 FOR x IN b IF contains(propose, string_split(x.c1, '/')[1])]) AS c0 FROM worksheet, (SELECT list({'c0': c0, 'c1': c1}) AS b FROM term_bank WHERE c1 IS NOT NULL) WHERE propose IS NOT NULL)
+SELECT DISTINCT ws_key, c0 FROM h""")
+def persian_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms whose first Persian alternative stands in a proposal; the bank is small by nature and is sent as a column."""
+    bank = [(r.c0, r.c1.split("/")[0].strip()) for r in table(spark, sf_dir, "term_bank").where("c1 is not null").orderBy("c0").collect()]
+    terms = F.array(*(F.struct(F.lit(a).alias("c0"), F.lit(b).alias("fa")) for a, b in bank))
+    df = table(spark, sf_dir, "worksheet").where("propose is not null")
+    found = F.filter(terms, lambda t: F.contains(F.col("propose"), t["fa"]))
+    return df.select("ws_key", F.explode(F.transform(found, lambda t: t["c0"])).alias("c0")).distinct()
+
+
+@query()
+def prose_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits that the normal form of Persian prose makes, per rule, the commonest first."""
+    df = table(spark, sf_dir, "documents").where("text is not null")
+    counted = df.select(F.explode(prose.edits_of("text")).alias("rule", "n")).groupBy("rule").agg(F.sum("n").alias("edits"), F.count("*").alias("documents"))
+    return counted.orderBy(F.desc("edits"), "rule")
+
+
+@query()
+def prose_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "documents").where("text is not null")
+    return df.select(F.explode(prose.kinds_of("text")).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
