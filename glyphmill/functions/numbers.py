@@ -70,3 +70,40 @@ def quantities_of(text: pd.Series) -> pd.Series:
 @F.pandas_udf(T.BooleanType())
 def uses_form(text: pd.Series, candidates: pd.Series) -> pd.Series:
     return pd.Series([uses(t, c if c is not None else ()) for t, c in zip(text, candidates)])
+
+
+def spelling_used(spelling: str, answer: str | None) -> bool:
+    """Whether an answer writes a quantity as asked.
+
+    A single number may be spelt otherwise; a compound (`3:30`, `1/2`) must keep its numbers in
+    order with the same marks between them; words stand between word bounds, joined ones excluded.
+    """
+    wanted, text = ascii_digits(spelling).strip(), ascii_digits(answer or "")
+    if re.fullmatch(r"[+-]?(?:\d+(?:[.,]\d+)?|[.,]\d+)", wanted):
+        return canonical(wanted) in quantities(text)
+    if not any(c.isdecimal() for c in wanted):
+        body = r"\s+".join(map(re.escape, spelling.split()))
+        return bool(body) and re.search(rf"(?<![\w\u200c]){body}(?![\w\u200c])", answer or "") is not None
+    asked = _tokens(wanted)
+    if not asked or wanted[: asked[0].start()] or wanted[asked[-1].end() :]:
+        whole = re.sub(r"\\?([:/])", r"\\s*\1\\s*", re.escape(wanted))
+        return re.search(rf"(?<![\w:/]){whole}(?!\w|[.:/]\d)", text) is not None
+    there, many = _tokens(text), len(asked)
+    for i in range(len(there) - many + 1):
+        window = there[i : i + many]
+        apart = re.search(r"\w$|[:/+\-]\s*$", text[: window[0].start()]) or re.match(r"\w|\s*[:/]|\.\d", text[window[-1].end() :])
+        if not apart and _shape(text, window) == _shape(wanted, asked):
+            return True
+    return False
+
+
+def _tokens(text: str) -> list[re.Match]:
+    return [m for m in NUMBER.finditer(text) if not m[2]]
+
+
+def _shape(text: str, tokens: list[re.Match]) -> list[str]:
+    """Canonical numbers and the marks between them, spaces around colons and slashes aside."""
+    out = [canonical(tokens[0][1])]
+    for a, b in zip(tokens, tokens[1:]):
+        out += [re.sub(r"\s*([:/])\s*", r"\1", text[a.end() : b.start()]), canonical(b[1])]
+    return out

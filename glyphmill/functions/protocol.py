@@ -67,3 +67,34 @@ def right_to_left(text: Column) -> Column:
     """The direction of a paragraph: that of its first strong letter."""
     first = F.regexp_extract(F.coalesce(text, F.lit("")), r"([A-Za-z\x{00C0}-\x{024F}]|[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}])", 1)
     return first.rlike(r"[\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}]")
+
+
+def fitted_prefix(values: Column, limit: int) -> Column:
+    """The longest prefix of an array of texts whose JSON is at most ``limit`` characters long.
+
+    Of `["a", "b"]` every value costs its length, two quotes and the separator before it.
+    """
+    start = F.struct(F.lit(2).alias("size"), F.lit(0).alias("kept"), F.lit(True).alias("open"))
+
+    def step(state: Column, value: Column) -> Column:
+        size = state["size"] + F.length(F.to_json(F.array(value))) - 2 + F.when(state["kept"] > 0, 2).otherwise(0)
+        fits = state["open"] & (size <= limit)
+        return F.struct(F.when(fits, size).otherwise(state["size"]).cast("int").alias("size"), (state["kept"] + fits.cast("int")).alias("kept"), fits.alias("open"))
+
+    return F.slice(values, F.lit(1), F.aggregate(values, start, step)["kept"])
+
+
+def tokens_per_line(text: Column) -> Column:
+    """Words of each hard line."""
+    return F.transform(lines(F.coalesce(text, F.lit(""))), lambda line: F.filter(F.split(line, r"[ \t]+"), lambda w: w != ""))
+
+
+def directional_runs(text: Column) -> Column:
+    """The text cut into runs of letters that are read the same way, other signs with the run before."""
+    right = r"\x{0590}-\x{08FF}\x{FB1D}-\x{FDFF}\x{FE70}-\x{FEFF}"
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(rf"((?:[{right}][^A-Za-z\x{{00C0}}-\x{{024F}}]*)+|[^{right}]+)"), F.lit(1))
+
+
+def page_source(final: Column, clean: Column, image: Column, there: Column) -> Column:
+    """The most finished file of a page that ``there``, an array of names, holds."""
+    return F.coalesce(*(F.when(F.array_contains(there, c), c) for c in (final, clean, image)))

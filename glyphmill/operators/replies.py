@@ -142,3 +142,36 @@ def apply_results(df: DataFrame, current: str, given: str, confidence: str, lock
         .otherwise("applied")
     )
     return df.withColumn("outcome", outcome).withColumn("result", F.when(F.col("outcome") == "applied", F.col(given)).otherwise(F.col(current)))
+
+
+def corrected(regions: DataFrame, corrections: DataFrame, width: Column, height: Column) -> DataFrame:
+    """``regions`` with new boxes and polarities (region_key, box, polarity), cut to their page.
+
+    What was derived from a box that moved is cleared: fill and clean_status.
+    """
+    from glyphmill.functions.boxes import clamp
+
+    new = corrections.select("region_key", F.col("box").alias("_box"), F.col("polarity").alias("_polarity"))
+    joined = regions.join(new, "region_key", "left")
+    box = F.when(F.col("_box").isNotNull(), clamp(F.col("_box"), width, height)).otherwise(F.col("bbox").cast("array<bigint>"))
+    moved = ~box.eqNullSafe(F.col("bbox").cast("array<bigint>")) | F.coalesce(F.col("_polarity") != F.col("polarity"), F.lit(False))
+    out = {"fill": F.when(~moved, F.col("fill")), "clean_status": F.when(~moved, F.col("clean_status")), "bbox": box.cast("array<int>"), "polarity": F.coalesce("_polarity", "polarity")}
+    return joined.withColumns(out).drop("_box", "_polarity")
+
+
+def add_regions(regions: DataFrame, added: DataFrame, page: list[str]) -> DataFrame:
+    """``regions`` (page..., added_as, target_text) with those that readers added, updated by slug or appended."""
+    new = added.select(*page, F.col("slug").alias("added_as"), F.col("fa").alias("_fa"))
+    joined = regions.where("added_as is not null").join(new, [*page, "added_as"], "full_outer")
+    updated = joined.withColumn("target_text", F.coalesce("_fa", "target_text")).drop("_fa")
+    return regions.where("added_as is null").unionByName(updated, allowMissingColumns=True)
+
+
+def stamped(recorded: DataFrame, done: DataFrame, pages: DataFrame, stage: str, page: list[str]) -> DataFrame:
+    """``recorded`` (page..., stage, revision) after a stage ran on ``done`` (page..., revision).
+
+    Pages run again get the new revision, pages that are gone are dropped, all else stays.
+    """
+    new = done.select(*page, F.lit(stage).alias("stage"), F.col("revision").alias("_new"))
+    joined = recorded.join(new, [*page, "stage"], "full_outer").withColumn("revision", F.coalesce("_new", "revision")).drop("_new")
+    return joined.join(pages.select(*page).distinct(), page, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glyphmill.functions import states
+from glyphmill.functions import protocol, states
 from glyphmill.functions.states import stripped
 from glyphmill.operators.windows import first_violation, latest, look_ahead, look_back, runs
 from glyphmill.plans.registry import Register
@@ -153,3 +153,31 @@ def latest_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT text, min(doc_id) AS doc_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text")
 def distinct_on_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+
+
+FIRSTS = """w AS (SELECT series_id, chapter_no, page_id, trim(speaker) AS speaker FROM worksheet WHERE trim(coalesce(speaker, '')) <> ''),
+f AS (SELECT series_id, speaker, min((chapter_no, page_id)) AS first FROM w GROUP BY ALL)"""
+
+
+@query(f"""WITH {FIRSTS}, r AS (SELECT *, sum(length(speaker) + 4) OVER (PARTITION BY series_id ORDER BY first, speaker) AS size FROM f),
+k AS (SELECT series_id, speaker, size, row_number() OVER (PARTITION BY series_id ORDER BY size) AS place FROM r WHERE size <= 1200) SELECT series_id, speaker, place FROM k""")
+def fitted_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The speakers of a series in the order they first appear, as many as 1,200 characters of JSON hold."""
+    said = table(spark, sf_dir, "worksheet").withColumn("speaker", stripped("speaker")).where("speaker <> ''")
+    firsts = said.groupBy("series_id", "speaker").agg(F.min(F.struct("chapter_no", "page_id")).alias("first"))
+    w = Window.partitionBy("series_id").orderBy("first", "speaker")
+    sized = firsts.withColumn("size", F.sum(F.length("speaker") + 4).over(w)).where("size <= 1200")
+    return sized.select("series_id", "speaker", F.row_number().over(Window.partitionBy("series_id").orderBy("size")).alias("place"))
+
+
+@query()
+def context_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a translator gets for each page, as one JSON: dialogue before, what follows, who speaks."""
+    kept, flags = look_back(_translated(spark, sf_dir), pages(spark, sf_dir), UNIT, "page_id", ["region_key"], cost())
+    keys = [*UNIT, "for_page"]
+    line = F.struct("back", F.col("page_id").alias("page"), F.col("id").alias("region"), stripped("source_text").alias("src"), stripped("target_text").alias("fa"))
+    before = kept.groupBy(*keys).agg(F.reverse(F.array_sort(F.collect_list(line))).alias("previous"))
+    ahead = context_look_ahead(spark, sf_dir).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("ahead", "kind", "source", "cut"))).alias("next"))
+    said = speakers_on_page(spark, sf_dir).select(*UNIT, F.col("page_id").alias("for_page"), protocol.fitted_prefix(F.col("speakers"), 1200).alias("speakers"))
+    joined = flags.join(before, keys, "left").join(ahead, keys, "left").join(said, keys, "left")
+    return joined.select(*keys, F.to_json(F.struct("previous", "truncated", "next", "speakers")).alias("package"))

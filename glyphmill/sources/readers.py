@@ -205,3 +205,28 @@ def json_records(df: DataFrame, text: str, schema: str) -> DataFrame:
     parsed = df.withColumn("record", strict)
     fault = F.when(F.col(text).isNull(), "empty").when(depth > 128, "too deep").when(F.try_parse_json(text).isNull(), "no JSON")
     return parsed.withColumn("fault", fault).withColumn("record", F.when(F.col("fault").isNull(), F.col("record")))
+
+
+def term_records(df: DataFrame, text: str) -> DataFrame:
+    """Terms of JSON objects `{term: target or {target, locked, aliases, note}}`, one row each, with the fault of a bad one."""
+    entry = F.expr(f"explode(from_json({text}, 'map<string,string>'))")
+    rows = df.select(entry).toDF("term", "value")
+    made = F.from_json("value", "target string, locked boolean, aliases array<string>, note string")
+    is_record = F.col("value").startswith("{")
+    target = F.when(is_record, made["target"]).otherwise(F.col("value"))
+    fault = F.when(F.trim("term") == "", "no term").when(F.col("value").isNull() | (F.trim(target) == ""), "no target").when(target.isNull(), "no target")
+    return rows.select("term", target.alias("target"), F.when(is_record, made["locked"]).otherwise(F.lit(False)).alias("locked"), F.when(is_record, made["aliases"]).alias("aliases"), fault.alias("fault"))
+
+
+def frames(stream: io.BufferedIOBase, limit: int = 1 << 20) -> Iterator[tuple[str | None, str | None]]:
+    """Lines of a byte stream as (text, fault); one over the limit is passed over and reported."""
+    while line := stream.readline(limit + 1):
+        if len(line) > limit and not line.endswith(b"\n"):
+            while line and not line.endswith(b"\n"):
+                line = stream.readline(limit)
+            yield None, "too long"
+            continue
+        try:
+            yield line.rstrip(b"\r\n").decode("utf-8", "strict"), None
+        except UnicodeDecodeError:
+            yield None, "not UTF-8"
