@@ -23,9 +23,9 @@ EDGE = "[^\\p{L}\\p{M}\\p{N}\\x{200C}]"
 
 
 def sql_mention(text: str, form: str) -> str:
-    """The form's words next to one another, bounded; a text without its first word is passed over."""
+    """The form's words next to one another, bounded; a text without its first or last word is passed over."""
     whole = f"regexp_matches(' ' || {text} || ' ', '{EDGE}' || replace({form}, ' ', '{EDGE}+') || '{EDGE}')"
-    return f"(CASE WHEN contains({text}, string_split({form}, ' ')[1]) THEN {whole} ELSE false END)"
+    return f"(CASE WHEN contains({text}, string_split({form}, ' ')[1]) AND contains({text}, string_split({form}, ' ')[-1]) THEN {whole} ELSE false END)"
 
 
 def _locked(spark: SparkSession) -> DataFrame:
