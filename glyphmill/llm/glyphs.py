@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,7 +29,6 @@ DUAL = "\u0620\u0626\u0628\u062a-\u062e\u0633-\u0647\u0649\u064a\u066e\u066f\u06
 MARK = "\u064b-\u065f\u0670\u06d6-\u06dc\u06df-\u06e4\u06e7\u06e8\u06ea-\u06ed"
 SEEN_BREAK = re.compile(f"([{DUAL}][{MARK}]*){BREAK}+(?=[{MARK}]*[{DUAL}{RIGHT}])")
 LAST_ALEF_MAKSURA = re.compile(f"\u0649(?![{MARK}]*[{DUAL}{RIGHT}])")
-YEH_KAF = str.maketrans({"\u064a": "\u06cc", "\u0643": "\u06a9"})
 #: Letters of other scripts that show as a Latin one, and kana and Han that show as one another.
 LOOK_ALIKE = dict(
     zip(
@@ -37,6 +37,7 @@ LOOK_ALIKE = dict(
         strict=True,
     )
 )
+SHOWN = re.compile(r"[^\W_]")
 SHAPES = {"<isolated>": (BREAK, BREAK), "<final>": ("", BREAK), "<initial>": (BREAK, ""), "<medial>": ("", "")}
 
 
@@ -84,6 +85,17 @@ class _Table(dict):
 _table = _Table()
 
 
+@lru_cache(1)
+def _folded_ones() -> re.Pattern[str]:
+    """Characters beyond ASCII that show as others; all beyond the first plane are looked up one by one."""
+    codes = [c for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and _unfolded(chr(c)) is not None]
+    starts = [c for i, c in enumerate(codes) if not i or codes[i - 1] != c - 1]
+    ends = [c for i, c in enumerate(codes) if i + 1 == len(codes) or codes[i + 1] != c + 1]
+    ranges = "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True))
+    return re.compile(f"[\t{ranges}\U00010000-\U0010ffff]")
+
+
+
 def glyph_form(text: str | None) -> str | None:
     """The one form of ``text``; None when it holds no letter or digit."""
     if text is None:
@@ -91,14 +103,16 @@ def glyph_form(text: str | None) -> str | None:
     form = text.replace("\r\n", "\n").replace("\r", "\n")
     if not form.isascii() or "\t" in form:
         # composed first, since an accent belongs to the letter as it was typed; again after folding
-        form = unicodedata.normalize("NFC", unicodedata.normalize("NFC", form).translate(_table))
+        form = unicodedata.normalize("NFC", form)
+        if _folded_ones().search(form):
+            form = unicodedata.normalize("NFC", form.translate(_table))
         if not form.isascii():
             form = SEEN_BREAK.sub(f"\\1{KEPT}", form).replace(BREAK, "")
-            form = form.translate(YEH_KAF)
+            form = form.replace("\u064a", "\u06cc").replace("\u0643", "\u06a9")
             form = LAST_ALEF_MAKSURA.sub("\u06cc", form).replace(KEPT, BREAK)
             form = form.replace("\u06cc\u0654", "\u0626")
     form = form.strip()
-    return form if any(ch.isalnum() for ch in form) else None
+    return form if SHOWN.search(form) else None
 
 
 def with_form(df: DataFrame, text: str, form: str = "form") -> DataFrame:
