@@ -136,9 +136,15 @@ class Suffixes:
             yield self.end[state] + 1 - long, self.end[state] + 1
 
 
-def bare(text: str) -> str:
-    """Letters and digits alone, in one width and case."""
-    return NOT_BARE.sub("", unicodedata.normalize("NFKC", text).casefold() if not text.isascii() else text.lower())
+def composed(text: str) -> str:
+    return text if text.isascii() else unicodedata.normalize("NFKC", text)
+
+
+def share_copied(prompt: str, response: str) -> float:
+    """``copied`` of the letters and digits alone, of texts in one width and case."""
+    if not any(map(str.isalnum, set(prompt) & set(response))):
+        return 0.0
+    return copied(NOT_BARE.sub("", prompt), NOT_BARE.sub("", response))
 
 
 def copied(prompt: str, response: str) -> float:
@@ -183,7 +189,7 @@ def folded(text: str) -> str:
     """In one case, width and set of letters; line ends stay."""
     if text.isascii():
         return text.lower()
-    form = one_set(unicodedata.normalize("NFKC", text).casefold()).replace("أ", "ا").replace("إ", "ا").replace("’", "'")
+    form = one_set(composed(text).casefold()).replace("أ", "ا").replace("إ", "ا").replace("’", "'")
     return SPACES.sub(" ", UNSEEN.sub("", form))
 
 
@@ -210,7 +216,7 @@ class Judge:
         return bits
 
     def persian(self, text: str) -> bool:
-        form = unicodedata.normalize("NFKC", text)
+        form = composed(text)
         letters = len(LETTERS.findall(form))
         if not letters:
             return True  # figures alone belong to no language
@@ -244,22 +250,23 @@ class Judge:
 
     def defect(self, prompt: str, response: str | None, ends: bool) -> str | None:
         """``ends``: whether the corpus says that the response's last words can end a sentence."""
-        answer = bare(response or "")
-        if not answer:
+        if not response or not SHOWN.search(response):
             return "empty"
-        if copied(bare(prompt), answer) >= COPIED:
+        asked, given = composed(prompt), composed(response)
+        if share_copied(asked.casefold(), given.casefold()) >= COPIED:
             return "copy"
-        if self.declines(response) and not self.declines(prompt):
+        if self.declines(given) and not self.declines(asked):
             return "refusal"
-        if not self.persian(response):
+        if not self.persian(given):
             return "other_language"
-        return "truncated" if self._cut(prompt, response, ends) else None
+        return "truncated" if self._cut(asked, given, ends) else None
 
-    def _cut(self, prompt: str, response: str, ends: bool) -> bool:
-        asked, given = (unicodedata.normalize("NFKC", x) if not x.isascii() else x for x in (prompt, response))
-        if sentences(given) < sentences(asked):
+    def _cut(self, asked: str, given: str, ends: bool) -> bool:
+        parts = [SHOWN.search(part) is not None for part in SENTENCE.split(given)]
+        wanted = sentences(asked)
+        if sum(parts) < wanted:
             return True
-        if marked_sentences(given) >= sentences(asked):
+        if sum(parts[:-1]) >= wanted:
             return False  # all of the prompt is rendered; what follows was added
         if self.open_end(given) and not self.open_end(asked):
             return True
@@ -275,12 +282,6 @@ def sentences(text: str) -> int:
     return sum(SHOWN.search(part) is not None for part in SENTENCE.split(text))
 
 
-def marked_sentences(text: str) -> int:
-    """Sentences that end with a mark."""
-    parts = SENTENCE.split(text)
-    return sum(SHOWN.search(part) is not None for part in parts[:-1])
-
-
 def last(text: str) -> str:
     """The last character that shows, outside closing quotes; an ellipsis counts as one."""
     shown = text.rstrip(WRAPPED)
@@ -289,7 +290,7 @@ def last(text: str) -> str:
 
 def ending_words(text: str) -> list[str]:
     """Words with figures as #, and ¶ at the start and wherever a sentence ends."""
-    form = UNSEEN.sub("", one_set(unicodedata.normalize("NFKC", text).casefold())).replace("\u200c", "")
+    form = UNSEEN.sub("", one_set(composed(text).casefold())).replace("\u200c", "")
     form = WORD_OR_END.findall(FIGURES.sub("#", form))
     return ["¶", *("¶" if w[0] in MARKS else w for w in form)]
 
