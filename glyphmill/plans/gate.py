@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions import persian, scripts, states
@@ -75,12 +73,12 @@ FINDINGS = {
 }
 
 
-def findings(df: DataFrame) -> dict[str, DataFrame]:
-    """One frame of regions per code."""
+def rules() -> dict[str, Column]:
+    """The condition of each code."""
     live = ~F.coalesce("dropped", F.lit(False))
     owed, target = states.translatable(), states.has_text("target_text")
     counted = scripts.counts(F.col("target_text"))
-    rules = {
+    return {
         "untranslated-region": owed & ~target,
         "source-script-left": owed & target & (scripts.source_left(counted) > 0),
         "clean-refused": live & F.coalesce(F.col("clean_status") == "refused", F.lit(False)),
@@ -89,7 +87,6 @@ def findings(df: DataFrame) -> dict[str, DataFrame]:
         "low-confidence-region": live & F.coalesce(F.col("confidence") < 0.5, F.lit(False)) & ~F.coalesce("locked", F.lit(False)),
         "sfx-untranslated": live & ~F.coalesce("keep", F.lit(False)) & ~F.coalesce("erase", F.lit(False)) & F.coalesce(F.col("kind") == "sfx", F.lit(False)) & ~owed,
     }
-    return {code: df.where(rule).select("region_key", F.lit(code).alias("code"), F.lit(FINDINGS[code][0]).alias("severity")) for code, rule in rules.items()}
 
 
 def _union_sql() -> str:
@@ -97,7 +94,9 @@ def _union_sql() -> str:
 
 
 def all_findings(df: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, findings(df).values())
+    """Every finding of every region; the table is read once for all codes."""
+    found = F.array_compact(F.array(*(F.when(rule, F.struct(F.lit(c).alias("code"), F.lit(FINDINGS[c][0]).alias("severity"))) for c, rule in rules().items())))
+    return df.select("region_key", F.explode(found).alias("f")).select("region_key", "f.code", "f.severity")
 
 
 @query(f"WITH {REGIONS} {_union_sql()}")
@@ -126,7 +125,7 @@ def findings_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _one(code: str) -> None:
     def one(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return findings(regions(spark, sf_dir))[code].select("region_key")
+        return regions(spark, sf_dir).where(rules()[code]).select("region_key")
 
     one.__name__ = "gate_" + code.replace("-", "_")
     query(f"WITH {REGIONS} SELECT region_key FROM flagged WHERE {FINDINGS[code][1]}")(one)
