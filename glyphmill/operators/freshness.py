@@ -10,7 +10,7 @@ from glyphmill.functions.digests import ordered, region_line, text_digest
 # Whose output each stage consumes, in the order in which stages run.
 NEEDS = {
     "detect": [], "watermark": [], "crops": ["detect"], "ocr": ["detect", "crops"], "glossary": [], "worksheet": ["detect"], "translate": ["detect"],
-    "falint": [], "masks": ["detect"], "clean": ["masks"], "typeset": ["clean"], "export": ["typeset"],
+    "lint": [], "masks": ["detect"], "clean": ["masks"], "typeset": ["clean"], "export": ["typeset"],
 }
 
 
