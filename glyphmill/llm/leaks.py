@@ -59,13 +59,16 @@ _latin = {ord(k): v.lower() for k, v in LOOK_ALIKE.items() if not "぀" <= k <=
 _folds = {ord(a): b for a, b in zip("يىكةأإ", "ییکهاا", strict=True)} | dict.fromkeys([0xAD, 0x640, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFEFF, *range(0x64B, 0x653), *range(0xFE00, 0xFE10)])
 FOLD = _latin | _folds | {ord(chr(k).casefold()): v for k, v in _latin.items() if len(chr(k).casefold()) == 1}
 
+FOLDED = re.compile("[" + re.escape("".join(map(chr, FOLD))) + "]")
+
 
 def words(text: str | None) -> list[str]:
     if not text:
         return []
     if text.isascii():
         return PLAIN_WORD.findall(text.lower())
-    return WORD.findall(unicodedata.normalize("NFKC", text).casefold().translate(FOLD))
+    form = unicodedata.normalize("NFKC", text).casefold().replace("\u200c", "")
+    return WORD.findall(form.translate(FOLD) if FOLDED.search(form) else form)
 
 
 def in_order(item: dict[int, int], size: int, text: list[int]) -> int:
