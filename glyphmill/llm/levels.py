@@ -54,6 +54,7 @@ FUNCTION = {
     "fa": "و در به از با را این آن است بود شد های ها می هم یک برای بر او ما شما من تو خود هر همه چند دیگر هیچ کرد کند دارد داشت باید هستند دارند نیست کجاست گفت آمد برو ببین امروز پیش بعد بی روی زیر کنار",
 }
 FOLD = str.maketrans({"ي": "ی", "ى": "ی", "ك": "ک", "أ": "ا", "إ": "ا", "ة": "ه", "’": "'", "…": "."} | {chr(c): None for c in [0xAD, 0x640, 0x200B, *range(0x200D, 0x2010), 0x2060, 0xFEFF, *range(0x64B, 0x653)]})
+FOLDED = re.compile("[" + re.escape("".join(map(chr, FOLD))) + "]")
 TOKEN = re.compile(r"[^\W\d_]+(?:['‌-][^\W\d_]+)*|[.!?؟。！？]+|\n+|[,،;؛]")
 ASIDE = re.compile(r"\([^()\n]{0,80}\)|https?://\S+|^[ \t]*(?:[-*•>#]+|\d+[.)])[ \t]+", re.M)
 SPEAKER = re.compile(r"^[^\W\d_]{2,14}(?: [^\W\d_]{1,14})?: ", re.M)
@@ -66,7 +67,9 @@ EN, FA, OTHER = 0, 1, 2
 def plain(text: str) -> str:
     """Folded text without asides, bullets and the lines of a dialogue."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).translate(FOLD)
+        text = unicodedata.normalize("NFKC", text)
+        if FOLDED.search(text):
+            text = text.translate(FOLD)
     text = ASIDE.sub(" ", text)
     if ": " in text and len(SPEAKER.findall(text)) >= 3 and 5 * len(SPEAKER.findall(text)) >= text.count("\n") + 1:
         return ""
